@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, license_scan
+from . import exact_dedup, fingerprint, langid, license_scan, piece_bpe, simhash_dedup, word_bpe
 from .common import crc_class
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,10 +56,54 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document, and what they decode to."""
+    found = piece_bpe.encode(spark, documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, size and fate of every document among its exact copies."""
+    found = exact_dedup.exact_dedup(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+#: Documents of more tokens are over the limit.
+TOKEN_LIMIT = 2048
+
+
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document."""
+    found = word_bpe.count_tokens(spark, documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    found = simhash_dedup.near_dedup(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op2_license_scan": op2_license_scan,
     "op3_fingerprint": op3_fingerprint,
+    "op4_piece_bpe": op4_piece_bpe,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_count": op6_token_count,
+    "op7_simhash": op7_simhash,
 }
 
 #: No operator of this package can be told whole in SQL.
