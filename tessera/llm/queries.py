@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, langid, license_scan, piece_bpe, simhash_dedup, word_bpe
+from . import exact_dedup, fingerprint, langid, license_scan, packing, piece_bpe, simhash_dedup, toxicity, warc, word_bpe
 from .common import crc_class
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,34 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 4,096 tokens."""
+    cut = packing.pieces(spark, documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    placed = packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the classes 1 to 4 of crc32(doc_id) mod 5."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs, labels, usable=crc_class("doc_id", 5) != 0)
+    found = toxicity.score(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (crc_class("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to WARC archives and read back."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = warc.round_trip(pages)
+    return found.select(
+        warc.page_of(F.col("metadata")).alias("page_id"),
+        F.col("original.capture.payload_bytes").alias("payload_bytes"),
+        F.col("original.capture.payload_digest").alias("payload_digest"),
+        F.col("capture.type").alias("record_type"),
+        F.when(F.col("capture.type") == "revisit", warc.page_of(F.col("original.metadata"))).alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op2_license_scan": op2_license_scan,
@@ -104,6 +132,9 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_count": op6_token_count,
     "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_warc": op10_warc,
 }
 
 #: No operator of this package can be told whole in SQL.
