@@ -36,7 +36,7 @@ SPACE = 32
 class Profile:
     """Parameters of the vector space: its size, the n-gram length and the seed."""
 
-    dim: int = 512
+    dim: int = 1024
     n: int = 3
     seed: int = 20240917
 
