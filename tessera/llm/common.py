@@ -90,11 +90,12 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
     rows need the same partitioning, so whole texts are shuffled once at most.
     """
     names = docs.columns
-    left = docs.withColumn("__id", F.col(id_col)).withColumn("__raw", raw_key(text_col)).alias("l")
-    right = kept.select(F.col("id").alias("__kid"), F.col("raw").alias("__kraw")).distinct()
-    joined = left.join(right, left["__raw"].eqNullSafe(right["__kraw"]) & left["__id"].eqNullSafe(right["__kid"]), "left_semi")
-    one = Window.partitionBy("__raw", "__id").orderBy("__raw")
-    return joined.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[f"`{n}`" for n in names])
+    # the row travels in one struct, so no column of its own can clash
+    left = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(id_col).alias("id"), raw_key(text_col).alias("raw"))
+    right = kept.select(F.col("id").alias("kid"), F.col("raw").alias("kraw")).distinct()
+    joined = left.join(right, left["raw"].eqNullSafe(right["kraw"]) & left["id"].eqNullSafe(right["kid"]), "left_semi")
+    one = Window.partitionBy("raw", "id").orderBy("raw")
+    return joined.withColumn("n", F.row_number().over(one)).where("n = 1").select(*[F.col("row").getField(n).alias(n) for n in names])
 
 
 def raw_key(text_col: str) -> Column:
