@@ -116,10 +116,10 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.withColumn("range", F.when(F.col("id").isNull(), -1).otherwise(_below(F.col("id"), bounds)))
 
     firsts = docs.groupBy("range").agg(F.min("id").alias("first"))
-    # one row per range: small, whatever the documents; the last range precedes the first
-    before = firsts.withColumn("before", F.lag("range").over(Window.partitionBy(F.lit(0)).orderBy("range")))
-    last = firsts.agg(F.max("range").alias("last"))
-    heads = before.crossJoin(F.broadcast(last)).select("range", "first", F.coalesce("before", "last").alias("before"))
+    # one row per range, four for each shuffle partition at most: small, whatever the documents
+    whole = Window.partitionBy(F.lit(0)).orderBy("range")
+    ends = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = firsts.select("range", "first", F.coalesce(F.lag("range").over(whole), F.last("range").over(ends)).alias("before"))
     joined = docs.join(F.broadcast(heads), "range")
     is_first = F.col("id").eqNullSafe(F.col("first"))
     places = F.when(is_first, F.array(F.struct(F.col("range"), F.lit(False).alias("copy")), F.struct(F.col("before").alias("range"), F.lit(True).alias("copy")))).otherwise(

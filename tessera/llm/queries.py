@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, fingerprint, langid, license_scan, packing, piece_bpe, simhash_dedup, toxicity, warc, word_bpe
-from .common import crc_class
+from .common import crc_class, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -113,6 +114,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written to WARC archives and read back."""
+    prepare(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = warc.round_trip(pages)
     return found.select(
