@@ -136,7 +136,8 @@ def _below(value: Column, bounds: list) -> Column:
     """How many bounds lie at or below the value: a binary search, log2(bounds) steps."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[F.lit(b) for b in bounds])
+    # one literal, however many bounds: the optimizer folds the split
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if isinstance(bounds[0], int) else F.array(*map(F.lit, bounds))
     n, steps = len(bounds), len(bounds).bit_length()
 
     def search(a: Column) -> Column:

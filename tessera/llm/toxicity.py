@@ -184,7 +184,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = labels.where(F.lit(True) if usable is None else usable)
     own = own.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     own = own.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    chosen = own.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    # one and a half times the bound is drawn by hash first, so the choice sorts few rows
+    place = F.xxhash64("id")
+    share = min(1.0, 1.5 * max_rows / max(1, own.count()))
+    drawn = own.where(place.cast("double") <= (2 * share - 1) * 2.0**63) if share < 1 else own
+    chosen = drawn.orderBy(place, "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most max_rows rows of two numbers: small enough to broadcast
     sample = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
