@@ -1,6 +1,6 @@
 """Whole jobs that a review found done in part."""
 
-from tessera.llm import components
+from tessera.llm import components, stages
 
 
 def test_millions_of_edges_settle(spark):
@@ -9,3 +9,21 @@ def test_millions_of_edges_settle(spark):
     found = components.components(links)
     assert found.count() == n + 3
     assert {tuple(r) for r in found.groupBy("root").count().collect()} == {(-3, n // 3 + 1), (-2, n // 3 + 2), (-1, n // 3 + 1)}
+
+
+def test_near_copies_at_similarity_0_8_go(spark):
+    base = [f"word{i}" for i in range(100)]
+    edits = [(i, " ".join([*base[: 7 * i], f"other{i}", *base[7 * i + 1 :]])) for i in range(1, 13)]
+    half = " ".join([*base[:50], *(f"else{i}" for i in range(50))])
+    df = spark.createDataFrame([(0, " ".join(base)), *edits, (50, half)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in stages.drop_near_copies(spark, df, "").collect()) == [0, 50]
+
+
+def test_short_and_long_texts_near_the_bound(spark):
+    rows = []
+    for n, (size, cut) in enumerate([(8, 0), (30, 5), (30, 6), (3000, 600), (3000, 900)]):
+        words = [f"x{n}y{i}" for i in range(size + 4)]
+        rows += [(10 * n, " ".join(words)), (10 * n + 1, " ".join(words[: len(words) - cut]).upper() + " ")]
+    kept = stages.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    # similarity 1, 25/30, 24/30, 2400/3000 and 2100/3000
+    assert sorted(r["doc_id"] for r in kept) == [0, 10, 20, 30, 40, 41]
