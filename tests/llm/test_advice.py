@@ -27,3 +27,13 @@ def test_short_and_long_texts_near_the_bound(spark):
     kept = stages.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     # similarity 1, 25/30, 24/30, 2400/3000 and 2100/3000
     assert sorted(r["doc_id"] for r in kept) == [0, 10, 20, 30, 40, 41]
+
+
+def test_one_row_stays_of_a_group_with_null_or_shared_ids(spark):
+    def edits(n):
+        base = [f"w{n}x{i}" for i in range(100)]
+        return [" ".join([*base[: 9 * i], "new", *base[9 * i + 1 :]]) for i in range(1, 5)]
+
+    rows = [(None, t) for t in edits(1)] + [(5, t) for t in edits(2)] + [(i or None, t) for i, t in enumerate(edits(3))]
+    kept = stages.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:2]) for r in kept) == [(0, "w1"), (1, "w3"), (5, "w2")]
