@@ -1,5 +1,7 @@
 """Licence scan with ordered signature rules.
 
+White space is folded first, with what opens a comment line after a line break, so wrapped phrases
+are found; spans are those of the text itself.
 An Aho-Corasick pass over the lower-cased text finds which keywords it holds; only
 rules with all their keywords present run their regex.  Detections are taken in the
 order of priority, then length, then place, and one that lies inside a detection
@@ -15,6 +17,7 @@ at least 0.5 where a base phrase stands; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,6 +33,9 @@ BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights r
 #: A-Z to a-z; every other ASCII character that is neither a digit nor a-z to a space.
 _FOLD = bytes(c if c > 0x7F or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
+#: White space that is not one plain space, and comment leaders that follow a line break.
+_WRAP = re.compile(r"\s*[\r\n]\s*(?:(?://+|/?\*+/?|#+|;+|--+|%+|>+|!+|dnl\b)\s*)*|\s{2,}|[^\S ]")
+
 
 @dataclass(frozen=True)
 class Detection:
@@ -66,6 +72,7 @@ class Scanner:
     def detect(self, lowered: str) -> list[Detection]:
         """What the rules find, overlaps resolved, in the order of the text."""
         found: list[Detection] = []
+        lowered, places, shifts = unwrap(lowered)
         have = self.present(lowered)
         due = sorted(n for k in have for n in self._by_rarest.get(k, ()) if self._needs[n] <= have)
         for n in due:
@@ -73,10 +80,26 @@ class Scanner:
             pattern = self._compiled.get(n) or self._compiled.setdefault(n, rule.compiled())
             for m in pattern.finditer(lowered):
                 if m.end() > m.start():
-                    found.append(Detection(m.start(), m.end(), rule.label or m.group(1).rstrip(".-"), rule.priority))
+                    start = m.start() + shifts[bisect_right(places, m.start()) - 1]
+                    end = m.end() + shifts[bisect_right(places, m.end() - 1) - 1]
+                    found.append(Detection(start, end, rule.label or m.group(1).rstrip(".-"), rule.priority))
         return resolve(found)
 
 
+def unwrap(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with white space folded, and from which places on it is shifted by how much."""
+    parts, places, shifts = [], [0], [0]
+    done = size = 0
+    for m in _WRAP.finditer(text):
+        parts += (text[done : m.start()], " ")
+        size += m.start() - done + 1
+        done = m.end()
+        if done - size != shifts[-1]:
+            places.append(size)
+            shifts.append(done - size)
+    return "".join([*parts, text[done:]]), places, shifts
+
+
 def resolve(found: list[Detection]) -> list[Detection]:
     """Drop each detection whose interval lies inside one that goes before it."""
     taken: list[Detection] = []

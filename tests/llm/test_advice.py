@@ -1,6 +1,8 @@
 """Whole jobs that a review found done in part."""
 
-from tessera.llm import components, stages
+import pytest
+
+from tessera.llm import components, license_scan, stages
 
 
 def test_millions_of_edges_settle(spark):
@@ -37,3 +39,34 @@ def test_one_row_stays_of_a_group_with_null_or_shared_ids(spark):
     rows = [(None, t) for t in edits(1)] + [(5, t) for t in edits(2)] + [(i or None, t) for i, t in enumerate(edits(3))]
     kept = stages.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r["doc_id"] or 0, r["text"][:2]) for r in kept) == [(0, "w1"), (1, "w3"), (5, "w2")]
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this"""
+GPL = "This is free software under the GNU General Public\nLicense version 3"
+
+
+@pytest.mark.parametrize("lead", ["", " * ", "// ", "# ", "\t;; ", "dnl "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize(("text", "labels", "sentences"), [(MIT, {"mit"}, 2), (BSD, {"bsd", "bsd-3-clause"}, 2), (ISC, {"isc"}, 1), (MPL, {"mpl-2.0"}, 1), (GPL, {"gpl-3.0"}, 1)])
+def test_wrapped_licences(text, labels, sentences, lead, end):
+    lowered = end.join(lead + line for line in text.lower().split("\n"))
+    found = license_scan.scanner().detect(lowered)
+    assert {d.label for d in found} >= labels and len(found) >= sentences
+    plain = license_scan.scanner().detect(" ".join(text.lower().split()))
+    # the spans are those of the text itself
+    folded = [" ".join(lowered[d.start : d.end].replace(lead.strip() or "\n", " ").split()) for d in found]
+    assert folded == [" ".join(" ".join(text.lower().split())[d.start : d.end].split()) for d in plain]
