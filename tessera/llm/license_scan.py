@@ -1,15 +1,16 @@
 """Licence scan with ordered signature rules.
 
-White space is folded first, with what opens a comment line after a line break, so wrapped phrases
-are found; spans are those of the text itself.
-An Aho-Corasick pass over the lower-cased text finds which keywords it holds; only
-rules with all their keywords present run their regex.  Detections are taken in the
+An Aho-Corasick pass over the lower-cased text finds which words of keywords it holds.  In a text
+that holds those of a rule, white space is folded, with what opens a comment line after a line break, so wrapped
+phrases are found (spans are those of the text itself); a second pass finds the whole keywords, and only
+rules with all of them present run their regex.  Detections are taken in the
 order of priority, then length, then place, and one that lies inside a detection
 already taken is suppressed, so "GPL version 3 or later" hides the "GPL version 3"
 in it.  Beside the rules, fixed phrases are counted over words.
 
 Texts are handled one at a time inside Arrow batches: no shuffle, no state, whole
-texts.  Defined results: a null text counts as empty; an empty one has no words, no
+texts; time grows in proportion to a text's length and its matches.  Defined results: an empty table
+gives no rows; a null text counts as empty; an empty one has no words, no
 labels, null places and score 0; ``score`` is the best detection's priority / 100,
 at least 0.5 where a base phrase stands; extra columns are ignored.
 """
@@ -33,8 +34,9 @@ BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights r
 #: A-Z to a-z; every other ASCII character that is neither a digit nor a-z to a space.
 _FOLD = bytes(c if c > 0x7F or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
-#: White space that is not one plain space, and comment leaders that follow a line break.
-_WRAP = re.compile(r"\s*[\r\n]\s*(?:(?://+|/?\*+/?|#+|;+|--+|%+|>+|!+|dnl\b)\s*)*|\s{2,}|[^\S ]")
+#: White space that is not one plain space, and comment leaders, which count after a line break.
+_WRAP = re.compile(r"(?:[^\S ]| (?=\s))\s*")
+_LEADERS = re.compile(r"(?:(?://+|/?\*+/?|#+|;+|--+|%+|>+|!+|dnl\b)\s*)+")
 
 
 @dataclass(frozen=True)
@@ -53,29 +55,17 @@ class Scanner:
 
         self.rules = table if table is not None else rules()
         self._compiled: dict[int, re.Pattern] = {}
-        words = sorted({k for r in self.rules for k in r.keywords})
-        self._bit = {k: i for i, k in enumerate(words)}
-        self._needs = [frozenset(self._bit[k] for k in r.keywords) for r in self.rules]
-        self._by_rarest: dict[int, list[int]] = {}
-        rarity = {i: (-len(k), k) for k, i in self._bit.items()}
-        for n, need in enumerate(self._needs):
-            self._by_rarest.setdefault(min(need, key=rarity.__getitem__), []).append(n)
-        self._automaton = ahocorasick.Automaton()
-        for k, i in self._bit.items():
-            self._automaton.add_word(k, i)
-        self._automaton.make_automaton()
-
-    def present(self, lowered: str) -> set[int]:
-        """Keywords in the text, shorter ones inside longer ones included."""
-        return {i for _, i in self._automaton.iter(lowered)}
+        # a keyword's longest word stands in the text however the keyword is wrapped
+        self._words = _Gate([[max(reversed(k.split()), key=len) for k in r.keywords] for r in self.rules], ahocorasick)
+        self._keywords = _Gate([list(r.keywords) for r in self.rules], ahocorasick)
 
     def detect(self, lowered: str) -> list[Detection]:
         """What the rules find, overlaps resolved, in the order of the text."""
+        if not self._words.due(lowered):
+            return []
         found: list[Detection] = []
         lowered, places, shifts = unwrap(lowered)
-        have = self.present(lowered)
-        due = sorted(n for k in have for n in self._by_rarest.get(k, ()) if self._needs[n] <= have)
-        for n in due:
+        for n in self._keywords.due(lowered):
             rule = self.rules[n]
             pattern = self._compiled.get(n) or self._compiled.setdefault(n, rule.compiled())
             for m in pattern.finditer(lowered):
@@ -86,14 +76,43 @@ class Scanner:
         return resolve(found)
 
 
+class _Gate:
+    """Which rules have all their strings in a text: one Aho-Corasick pass."""
+
+    def __init__(self, needs: list[list[str]], ahocorasick):
+        number = {k: i for i, k in enumerate(sorted({k for need in needs for k in need}))}
+        self._needs = [frozenset(number[k] for k in need) for need in needs]
+        rarity = {i: (-len(k), k) for k, i in number.items()}
+        self._by_rarest: dict[int, list[int]] = {}
+        for n, need in enumerate(self._needs):
+            self._by_rarest.setdefault(min(need, key=rarity.__getitem__), []).append(n)
+        self._automaton = ahocorasick.Automaton()
+        for k, i in number.items():
+            self._automaton.add_word(k, i)
+        self._automaton.make_automaton()
+
+    def due(self, text: str) -> list[int]:
+        have = {i for _, i in self._automaton.iter(text)}
+        return sorted(n for k in have for n in self._by_rarest.get(k, ()) if self._needs[n] <= have)
+
+
 def unwrap(text: str) -> tuple[str, list[int], list[int]]:
     """The text with white space folded, and from which places on it is shifted by how much."""
     parts, places, shifts = [], [0], [0]
     done = size = 0
     for m in _WRAP.finditer(text):
+        end = m.end()
+        run = m.group()
+        if "\n" in run or "\r" in run:
+            lead = _LEADERS.match(text, end)
+            end = lead.end() if lead else end
+        elif run == " ":
+            continue
+        if m.start() < done:
+            continue  # white space inside leaders
         parts += (text[done : m.start()], " ")
         size += m.start() - done + 1
-        done = m.end()
+        done = end
         if done - size != shifts[-1]:
             places.append(size)
             shifts.append(done - size)
@@ -101,16 +120,40 @@ def unwrap(text: str) -> tuple[str, list[int], list[int]]:
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Drop each detection whose interval lies inside one that goes before it."""
+    """Drop each detection whose interval lies inside one that goes before it (higher
+    priority, then longer, then first by label); one sweep per priority.
+
+    What lies inside a dropped detection lies inside the one that dropped it too, so every
+    detection may be compared with all that go before it, dropped or not.
+    """
+    found = sorted(found, key=lambda d: (d.start, -d.end, d.label))
+    above: list[tuple[list[int], list[int]]] = []  # of each higher priority: starts, and the largest end up to there
     taken: list[Detection] = []
-    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        if not any(t.start <= d.start and d.end <= t.end for t in taken):
-            taken.append(d)
+    for priority in sorted({d.priority for d in found}, reverse=True):
+        starts, ends, reach = [], [], -1
+        for d in found:
+            if d.priority != priority:
+                continue
+            if reach < d.end and not any(_reach(s, e, d.start) >= d.end for s, e in above):
+                taken.append(d)
+            reach = max(reach, d.end)
+            starts.append(d.start)
+            ends.append(reach)
+        above.append((starts, ends))
     # a long detection of lower priority may still enclose a kept one of the same label: keep one
-    out = [d for d in taken if not any(t is not d and t.label == d.label and t.start <= d.start and d.end <= t.end for t in taken)]
+    out, reaches = [], {}
+    for d in sorted(taken, key=lambda d: (d.start, -d.end, d.label)):
+        if reaches.get(d.label, -1) < d.end:
+            out.append(d)
+            reaches[d.label] = d.end
     return sorted(out, key=lambda d: (d.start, d.end, d.label))
 
 
+def _reach(starts: list[int], ends: list[int], start: int) -> int:
+    n = bisect_right(starts, start)
+    return ends[n - 1] if n else -1
+
+
 def base_places(text: bytes, phrases: dict[str, str] = BASE_PHRASES) -> tuple[int, list[tuple[int, str]]]:
     """Number of words, and (first word's index, label) of each place of a phrase."""
     folded = text.translate(_FOLD)
@@ -122,9 +165,11 @@ def base_places(text: bytes, phrases: dict[str, str] = BASE_PHRASES) -> tuple[in
             continue
         joined = joined or b" " + b" ".join(words) + b" "
         needle = b" " + phrase.encode() + b" "
-        at = joined.find(needle)
+        at, done, word = joined.find(needle), 0, 0
         while at >= 0:
-            places.append((joined.count(b" ", 0, at), label))
+            word += joined.count(b" ", done, at)
+            done = at
+            places.append((word, label))
             at = joined.find(needle, at + 1)
     return len(words), places
 
