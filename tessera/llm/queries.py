@@ -27,8 +27,8 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the classes 0 and 2 of crc32(doc_id) mod 3."""
     docs = documents(spark, sf_dir)
     held_out = crc_class("doc_id", 3) == 1
-    prototypes = langid.learn(docs.where(~held_out))
-    found = langid.identify(docs, prototypes)
+    learned = langid.learn(docs.where(~held_out))
+    found = langid.identify(docs, learned)
     return found.select(F.col("id").alias("doc_id"), (crc_class("id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
