@@ -26,9 +26,16 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share.
+
+    A session that names none gets a folder of this machine, which only a local master can read
+    back; on a cluster that is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -49,15 +56,36 @@ def prepare(spark: SparkSession) -> None:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (cuts the lineage).
 
-    The files are deleted when the driver's JVM ends.
+    The files are deleted when the driver's JVM ends, or by :func:`discard` before.
     """
+    return written(df, label)[0]
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As :func:`staged`, with the place for :func:`discard`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{label}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    at.getFileSystem(conf).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{label}"
+    at, fs = _folder(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what :func:`written` wrote; nothing may read it any more."""
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Connected components by alternating large-star and small-star steps.
 
 Edges stay in DataFrames; each round is written to the shared folder, so the lineage
-never grows and a lost executor repeats one round at most.  The number of rounds grows with
-the logarithm of the longest path.
+never grows and a lost executor repeats one round at most; a round's files go when the next one
+is written.  The number of rounds grows with the logarithm of the longest path.
+
+Defined results: links with a null end and loops are left out; repeated links count once; no links
+give no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, written
 
 MAX_ROUNDS = 60
 
@@ -44,11 +47,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     one, two = (F.col(f"`{c}`") for c in links.columns[:2])
     edges = links.select(F.greatest(one, two).alias("a"), F.least(one, two).alias("b")).where("a != b").distinct()
-    edges = staged(edges, "edges")
+    edges, path = written(edges, "edges")
     before = _summary(edges)
     for _ in range(MAX_ROUNDS if before[0] else 0):
-        edges = staged(_small_star(_large_star(edges)), "edges")
-        now = _summary(edges)
+        after, place = written(_small_star(_large_star(edges)), "edges")
+        now = _summary(after)
+        discard(links.sparkSession, path)
+        edges, path = after, place
         if now == before:
             break
         before = now

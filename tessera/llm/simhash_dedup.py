@@ -1,23 +1,25 @@
 """Near-duplicates by SimHash: a byte-position inverted index with count filtering.
 
 A fingerprint has 64 bits, eight positional bytes.  Two fingerprints that differ in
-at most ``max_bits`` (2) bits differ in at most two bytes, so they share six
-positional bytes at least: the guaranteed minimum.  The index posts every distinct
-fingerprint under each set of six positions with the six bytes there (28 postings),
-so any two entries of a posting list already share the minimum.  Within a list the shared bytes of a pair
-are tallied (six, and one for each of the two other positions where they agree), pairs that reach
-the minimum are retained, and retained pairs are verified by the number of
-differing bits.  A pair that shares seven bytes stands in seven lists and is reported in one.
-
-A list holds distinct fingerprints that differ in 16 bits only, so it has 65,536
-entries at most, whatever the input; long lists look the 136 possible partners of each entry up
-instead of comparing entries pairwise, so the work is linear in the postings.  Equal
+at most 2 bits differ in at most two bytes, so they share six positional bytes at least: the
+guaranteed minimum.  Lists of single positional bytes would hold 1/256 of all fingerprints each, so
+the index posts bytes together: the eight positions make four groups of two, and a
+fingerprint is posted under each pair of groups with the four bytes there (6 postings).  Two differing
+bytes spoil two groups at most, so two groups agree wholly and every pair sought meets in a list.
+In a list, which stands for four shared bytes, the shared bytes of a pair are tallied over the other four positions too; pairs
+below the guaranteed minimum of six are dropped, the others verified by the number of differing
+bits.  A pair that meets in several lists is reported in the first.
+
+A list of more than ``LONG_LIST`` fingerprints isn't compared pairwise: its entries are posted again under each
+two of the other four positions (6 postings), and the tally starts from six shared bytes.  Such a list differs in two
+bytes only, so it has 65,536 entries at most, whatever the input, and entries look up the 136 partners that they
+can have.  Work is linear in the postings, and no pair is lost.  Equal
 fingerprints are put together before the index, so copies cost nothing there.
 
 Defined results: a null or empty text, or one without words, has the fingerprint zero and is
-linked like any other; texts of fewer than three words are one shingle; repeated rows
+linked like any other; texts of fewer words than the shingle has are one shingle; texts of any length are read whole; repeated rows
 are in one component; null ids never name a component unless all its ids are null; an empty table
-gives no rows; extra columns are ignored.
+gives no rows; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -38,28 +40,32 @@ SEED = 42
 MAX_BITS = 2
 POSITIONS = 8
 MIN_SHARED = POSITIONS - MAX_BITS
-#: The two positions that a posting leaves out.
-LEFT_OUT = list(combinations(range(POSITIONS), 2))
+#: Groups of positions, and the pairs of groups that a fingerprint is posted under.
+GROUPS = POSITIONS // 2
+KEYED = list(combinations(range(GROUPS), 2))
+#: Of the four positions of an entry's rest, the two that are posted again.
+AGAIN = list(combinations(range(4), 2))
 #: Lists up to this length are compared pairwise.
-SHORT_LIST = 32
+LONG_LIST = 64
 _POPCOUNT = np.array([bin(i).count("1") for i in range(65536)], np.uint8)
 _PARTNERS = np.array([m for m in range(1, 65536) if bin(m).count("1") <= MAX_BITS], np.int64)
 
 
-def simhash(text: bytes, width: int = WIDTH) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Unsigned hashes of a text's word shingles, repeats included; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
-    if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = [0, *(ends + 1).tolist()]
-        stops = ends[width - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)], np.uint64)
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends + 1).tolist()]
+    stops = ends[min(width, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)], np.uint64)
+
+
+def vote(hashes: np.ndarray) -> int:
+    """A bit is 1 if more than half of the hashes have it; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -67,6 +73,11 @@ def simhash(text: bytes, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: bytes, width: int = WIDTH) -> int:
+    """64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+    return vote(shingle_hashes(text, width))
+
+
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``raw`` and ``print`` of every row; no text."""
 
@@ -78,100 +89,174 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(source, run, f"id {source.schema['id'].dataType.simpleString()}, raw long, print long")
 
 
+def _part(p: Column, group: int) -> Column:
+    """The two bytes of a group, as a number."""
+    return F.shiftrightunsigned(p, 16 * group).bitwiseAND(F.lit(0xFFFF))
+
+
 def postings(prints: DataFrame) -> DataFrame:
-    """The index: ``key`` (positions left out, and the six bytes at the others) and ``rest`` (the two bytes left out)."""
+    """The index: ``key`` (pair of groups, and the four bytes there) and ``rest`` (the other four bytes)."""
 
     def entry(n: int, low: int, high: int) -> Column:
         p = F.col("print")
-        below = p.bitwiseAND(F.lit((1 << 8 * low) - 1))
-        between = F.shiftrightunsigned(p, 8).bitwiseAND(F.lit((1 << 8 * (high - 1)) - (1 << 8 * low)))
-        above = F.shiftrightunsigned(p, 16).bitwiseAND(F.lit((1 << 48) - (1 << 8 * (high - 1))))
-        key = below.bitwiseOR(between).bitwiseOR(above).bitwiseOR(F.lit(n << 48))
-        one = F.shiftrightunsigned(p, 8 * low).bitwiseAND(F.lit(255))
-        two = F.shiftrightunsigned(p, 8 * high).bitwiseAND(F.lit(255))
-        return F.struct(key.alias("key"), one.bitwiseOR(F.shiftleft(two, 8)).cast("int").alias("rest"))
-
-    entries = F.array(*[entry(n, i, j) for n, (i, j) in enumerate(LEFT_OUT)])
+        one, two = (g for g in range(GROUPS) if g not in (low, high))
+        key = F.lit(n << 32).bitwiseOR(F.shiftleft(_part(p, high), 16)).bitwiseOR(_part(p, low))
+        return F.struct(key.alias("key"), F.shiftleft(_part(p, two), 16).bitwiseOR(_part(p, one)).alias("rest"))
+
+    entries = F.array(*[entry(n, i, j) for n, (i, j) in enumerate(KEYED)])
     return prints.select(F.explode(entries).alias("e")).select("e.key", "e.rest")
 
 
+def posted_again(entries: DataFrame) -> DataFrame:
+    """The second index of long lists' entries: ``key``, ``rest`` as before, ``sub`` (two positions of the rest and the bytes there) and ``last`` (the two other bytes)."""
+
+    def byte(k: int) -> Column:
+        return F.shiftrightunsigned(F.col("rest"), 8 * k).bitwiseAND(F.lit(255))
+
+    def entry(n: int, i: int, j: int) -> Column:
+        one, two = (k for k in range(4) if k not in (i, j))
+        sub = F.lit(n << 16).bitwiseOR(F.shiftleft(byte(j), 8)).bitwiseOR(byte(i))
+        return F.struct(sub.alias("sub"), F.shiftleft(byte(two), 8).bitwiseOR(byte(one)).alias("last"))
+
+    again = F.array(*[entry(n, i, j) for n, (i, j) in enumerate(AGAIN)])
+    return entries.select("key", "rest", F.explode(again).alias("e")).select("key", "e.sub", "e.last", "rest")
+
+
 def _whole(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Fingerprints that postings stand for."""
-    low = np.array([i for i, _ in LEFT_OUT], np.uint64)[key >> 48] * np.uint64(8)
-    high = np.array([j for _, j in LEFT_OUT], np.uint64)[key >> 48] * np.uint64(8)
-    one, eight = np.uint64(1), np.uint64(8)
-    k, r = (key & ((1 << 48) - 1)).astype(np.uint64), rest.astype(np.uint64)
-    below = k & ((one << low) - one)
-    between = k & ((one << (high - eight)) - (one << low))
-    above = k >> (high - eight) << (high - eight)
-    return below | (between << eight) | (above << np.uint64(16)) | ((r & np.uint64(255)) << low) | ((r >> eight) << high)
+    out = np.zeros(len(key), np.uint64)
+    for n, keyed in enumerate(KEYED):
+        here = key >> 32 == n
+        others = [g for g in range(GROUPS) if g not in keyed]
+        for groups, part in ((keyed, key), (others, rest)):
+            for place, g in enumerate(groups):
+                out[here] |= ((part[here] >> 16 * place) & 0xFFFF).astype(np.uint64) << np.uint64(16 * g)
+    return out
 
 
 def _tallied(key: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Pairs of one list that are retained, verified and reported in this list."""
+    """Which pairs of entries of one list reach the minimum of shared bytes, are verified, and have no list before this."""
     differ = one ^ two
-    same_low, same_high = (differ & 255) == 0, (differ >> 8) == 0
-    shared = MIN_SHARED + same_low.astype(np.int64) + same_high
-    verified = (shared >= MIN_SHARED) & (_POPCOUNT[differ] <= MAX_BITS)
-    # a pair that differs in one byte only is reported where that byte's partner is the first other position
-    low = np.array([i for i, _ in LEFT_OUT])[key >> 48]
-    high = np.array([j for _, j in LEFT_OUT])[key >> 48]
-    here = np.where(same_high, (low == 0) & (high == 1), np.where(same_low, low == 0, True))
-    return verified & here
-
-
-def links_of(key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linked fingerprints of whole posting lists, sorted by (key, rest)."""
-    first, second = [], []
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    length = np.diff(np.append(starts, len(key)))
-    longest = np.repeat(length, length)
-    for step in range(1, SHORT_LIST):
-        at = np.flatnonzero((longest > step) & (longest <= SHORT_LIST))
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]
-        if not len(at):
-            break
-        at = at[_tallied(key[at], rest[at], rest[at + step])]
-        first.append(at)
-        second.append(at + step)
-    for start, n in zip(starts[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist(), strict=True):
-        own = rest[start : start + n]
+    shared = np.full(len(key), POSITIONS - 4, np.int64)
+    for k in range(4):
+        shared += (differ >> 8 * k) & 255 == 0
+    good = shared >= MIN_SHARED
+    good &= _POPCOUNT[differ & 0xFFFF] + _POPCOUNT[(differ >> 16) & 0xFFFF] <= MAX_BITS
+    # groups outside the key that agree too: a pair of groups with one of them may go before
+    for n, keyed in enumerate(KEYED):
+        here = key >> 32 == n
+        for place, g in enumerate(x for x in range(GROUPS) if x not in keyed):
+            if g < keyed[1]:
+                good &= ~(here & ((differ >> 16 * place) & 0xFFFF == 0))
+    return good
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal tuples."""
+    change = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    starts = np.flatnonzero(np.concatenate(([True], change))) if len(columns[0]) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(columns[0])))
+
+
+def _neighbours(starts: np.ndarray, length: np.ndarray, limit: int):
+    """All pairs of places inside runs of at most ``limit``, as two arrays for each distance."""
+    own = np.where(length <= limit, length, 0)
+    left = np.repeat(own, length) - (np.arange(int(length.sum())) - np.repeat(starts, length)) - 1
+    for step in range(1, int(own.max(initial=0))):
+        at = np.flatnonzero(left >= step)
+        yield at, at + step
+
+
+def links_of(key: np.ndarray, rest: np.ndarray, limit: int = LONG_LIST) -> tuple[np.ndarray, np.ndarray]:
+    """Linked fingerprints of whole posting lists of at most ``limit`` entries, sorted by key."""
+    found = [np.zeros((2, 0), np.int64)]
+    starts, length = _runs(key)
+    for a, b in _neighbours(starts, length, limit):
+        good = _tallied(key[a], rest[a], rest[b])
+        found.append(np.stack((a[good], b[good])))
+    a, b = np.concatenate(found, axis=1)
+    return _whole(key[a], rest[a]).view(np.int64), _whole(key[b], rest[b]).view(np.int64)
+
+
+def links_again(key: np.ndarray, sub: np.ndarray, last: np.ndarray, rest: np.ndarray, limit: int = LONG_LIST) -> tuple[np.ndarray, np.ndarray]:
+    """Linked fingerprints of whole lists of the second index, sorted by (key, sub)."""
+    found = [np.zeros((2, 0), np.int64)]
+    starts, length = _runs(key, sub)
+    found += [np.stack(pair) for pair in _neighbours(starts, length, limit)]
+    for start, n in zip(starts[length > limit].tolist(), length[length > limit].tolist(), strict=True):
+        own, at = last[start : start + n], np.arange(start, start + n)
         place = np.full(65536, -1, np.int64)
-        place[own] = np.arange(start, start + n)
+        place[own] = at
         for mask in _PARTNERS:
             other = place[own ^ mask]
-            at = np.flatnonzero(other > np.arange(start, start + n)) + start
-            if len(at):
-                to = other[at - start]
-                good = _tallied(key[at], rest[at], rest[to])
-                first.append(at[good])
-                second.append(to[good])
-    if not first:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(first), np.concatenate(second)
+            found.append(np.stack((at[other > at], other[other > at])))
+    a, b = np.concatenate(found, axis=1)
+    # of the lists that both stand in, the one of the first two shared positions reports
+    differ = rest[a] ^ rest[b]
+    good = np.ones(len(a), bool)
+    for n, (i, j) in enumerate(AGAIN):
+        here = sub[a] >> 16 == n
+        for k in range(j):
+            if k != i:
+                good &= ~(here & ((differ >> 8 * k) & 255 == 0))
+    a, b = a[good], b[good]
+    good = _tallied(key[a], rest[a], rest[b])
+    a, b = a[good], b[good]
     return _whole(key[a], rest[a]).view(np.int64), _whole(key[b], rest[b]).view(np.int64)
 
 
-def links(prints: DataFrame) -> DataFrame:
+#: Links (two fingerprints), and entries (key, rest) of long lists that a first pass holds back.
+ENTRY = "a long, b long, entry boolean"
+
+
+def links(prints: DataFrame, limit: int = LONG_LIST) -> DataFrame:
     """Pairs ``a``, ``b`` of distinct fingerprints that differ in at most two bits."""
-    # a key is spread evenly and its list bounded, so hash partitions are even and each list is in one
-    lists = postings(prints).repartition("key").sortWithinPartitions("key", "rest")
+    lists = postings(prints).repartition("key").sortWithinPartitions("key")
 
-    def run(batches):
-        key, rest = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def first(batches):
+        """Links of short lists; entries (key, rest) of long ones, as they come."""
+        key, rest, passing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
             key = np.concatenate((key, np.asarray(batch.column(0), np.int64)))
             rest = np.concatenate((rest, np.asarray(batch.column(1), np.int64)))
             if not len(key):
                 continue
-            whole = int(np.searchsorted(key, key[-1]))  # the last list may go on in the next batch
-            yield _batch(*links_of(key[:whole], rest[:whole]))
+            # the last list may go on in the next batch; once it is long, its entries need not wait
+            whole = int(np.searchsorted(key, key[-1]))
+            if len(key) - whole > limit or key[-1] == passing:
+                passing, whole = key[-1], len(key)
+            yield from split(key[:whole], rest[:whole], passing)
             key, rest = key[whole:], rest[whole:]
         if len(key):
-            yield _batch(*links_of(key, rest))
+            yield from split(key, rest, passing)
+
+    def split(key, rest, passing):
+        starts, length = _runs(key)
+        long = np.repeat((length > limit) | (key[starts] == (-1 if passing is None else passing)), length)
+        for a, b, entry in ((key[long], rest[long], True), (*links_of(key[~long], rest[~long], limit), False)):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), entry))], ["a", "b", "entry"])
+
+    met = staged(lists.mapInArrow(first, ENTRY), "links")
+    held = met.where("entry").select(F.col("a").alias("key"), F.col("b").alias("rest"))
+    again = posted_again(held).repartition("key", "sub").sortWithinPartitions("key", "sub")
+
+    def second(batches):
+        # a list has 65,536 entries at most, so what waits for its end is bounded
+        columns = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            columns = [np.concatenate((c, np.asarray(x, np.int64))) for c, x in zip(columns, batch.columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            whole = int(_runs(*columns[:2])[0][-1])
+            yield _batch(*links_again(*(c[:whole] for c in columns), limit))
+            columns = [c[whole:] for c in columns]
+        if len(columns[0]):
+            yield _batch(*links_again(*columns, limit))
 
-    return lists.mapInArrow(run, "a long, b long")
+    return met.where("NOT entry").select("a", "b").union(again.mapInArrow(second, "a long, b long"))
 
 
 def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
