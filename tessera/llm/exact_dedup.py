@@ -10,15 +10,18 @@
    ``2 ** ROUTE_BITS`` bits, 8 MB, whatever the input) is broadcast; rows it lets through
    are read again, equal texts of a partition are put together and the distinct byte strings
    meet by fingerprint.  Only what has the same bytes is a group; a row let through
-   by chance, or by a clash of fingerprints, ends alone.
+   by chance, or by a clash of fingerprints, ends alone.  Where the repeated fingerprints would fill more than
+   half of the bitmap it would let most rows through; then they are joined with the rows instead.
 4. Of a group the row with the most code points, then the smallest id, stays.
 
 No task holds a group: equal texts are put together before and while they are
-shuffled, blocks are sized by the number of rows, and large groups meet in joins that Spark can split.
+shuffled, blocks are sized by the number of rows, and each digest's best row is found by a partial aggregation
+before anything is joined, so the only join that sees all rows of a group is the last one, which Spark may split.
 
 Defined results: a null text counts as empty, and all texts of white space alone are
 one group; null ids come after others; of rows that are the same in id and length
-exactly one stays; an empty table gives no rows; extra columns are ignored.
+exactly one stays; ids are numbers; texts of any length are read whole; an empty table gives no rows; extra columns are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -204,9 +207,9 @@ def repeated(filters_: DataFrame) -> DataFrame:
     return map_batches(filters_, run, "print long, n long")
 
 
-def route_bitmap(prints: DataFrame, n: int) -> tuple[int, bytes]:
-    """(bits, bitmap over the fingerprints' leading bits); 2 ** ROUTE_BITS bits at most."""
-    bits = min(ROUTE_BITS, max(15, int(np.ceil(np.log2(8 * n + 1)))))
+def route_bitmap(prints: DataFrame, n: int, route_bits: int = ROUTE_BITS) -> tuple[int, bytes]:
+    """(bits, bitmap over the fingerprints' leading bits); 2 ** route_bits bits at most."""
+    bits = min(route_bits, max(15, int(np.ceil(np.log2(8 * n + 1)))))
     place = F.shiftrightunsigned("print", 64 - bits)
     rows = (
         prints.select((place + 1).alias("at"))
@@ -221,8 +224,9 @@ def route_bitmap(prints: DataFrame, n: int) -> tuple[int, bytes]:
     return bits, bytes(out)
 
 
-def verified(df: DataFrame, text_col: str, bits: int, bitmap: bytes) -> DataFrame:
-    """Groups of rows with the same normalised bytes: ``sha``, ``group_size`` (2 at least)."""
+def distinct_texts(df: DataFrame, text_col: str, bits: int = 0, bitmap: bytes = b"") -> DataFrame:
+    """Normalised texts of the rows that the bitmap lets through (all without one), equal ones of a slice together:
+    ``print``, ``sha``, ``bytes``, ``n``."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
@@ -231,8 +235,8 @@ def verified(df: DataFrame, text_col: str, bits: int, bitmap: bytes) -> DataFram
             for batch in slices(whole):
                 seen: dict[bytes, int] = {}
                 for t in map(normalised, bytes_of(batch.column(0))):
-                    at = fingerprint(t) >> (64 - bits)
-                    if table[at >> 3] >> (at & 7) & 1:
+                    at = fingerprint(t) >> (64 - bits) if bits else 0
+                    if not bits or table[at >> 3] >> (at & 7) & 1:
                         seen[t] = seen.get(t, 0) + 1
                 if seen:
                     prints = np.array([fingerprint(t) for t in seen], np.uint64).view(np.int64)
@@ -240,7 +244,16 @@ def verified(df: DataFrame, text_col: str, bits: int, bitmap: bytes) -> DataFram
                     columns = [pa.array(prints), pa.array(shas, pa.binary()), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["print", "sha", "bytes", "n"])
 
-    routed = df.select(F.col(text_col).alias("text")).mapInArrow(run, "print long, sha binary, bytes binary, n long")
+    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "print long, sha binary, bytes binary, n long")
+
+
+def verified(df: DataFrame, text_col: str, bits: int, bitmap: bytes) -> DataFrame:
+    """Groups of rows with the same normalised bytes: ``sha``, ``group_size`` (2 at least)."""
+    return equal_bytes(distinct_texts(df, text_col, bits, bitmap))
+
+
+def equal_bytes(routed: DataFrame) -> DataFrame:
+    """The same, of texts that are routed already."""
     equal = routed.groupBy("print", "sha", "bytes").agg(F.sum("n").alias("group_size"))
     # the digest names a group from here on; two byte strings under one digest must fail, not merge
     clash = F.raise_error(F.lit("two texts have the same SHA-256"))
@@ -248,20 +261,25 @@ def verified(df: DataFrame, text_col: str, bits: int, bitmap: bytes) -> DataFram
     return named.where(F.when(F.col("strings") > 1, clash.cast("boolean")).otherwise(F.col("group_size") > 1)).select("sha", "group_size")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_rows: int | None = None) -> DataFrame:
+def groups_of(df: DataFrame, text_col: str, repeated_prints: DataFrame, route_bits: int = ROUTE_BITS) -> DataFrame:
+    """Groups of equal texts, routed by the bitmap or, where it would be more than half full, by a join."""
+    n = repeated_prints.count()
+    if n > 1 << (route_bits - 1):
+        return equal_bytes(distinct_texts(df, text_col).join(repeated_prints.select("print"), "print", "left_semi"))
+    return verified(df, text_col, *route_bitmap(repeated_prints, n, route_bits))
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_rows: int | None = None, route_bits: int = ROUTE_BITS) -> DataFrame:
     """One row per input row: ``id``, ``raw``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
     meta = staged(fingerprints(df, id_col, text_col), "fingerprints")
     rows = meta.count() if n_rows is None else n_rows
     block_bits = min(24, max(4, int(np.ceil(np.log2(max(1, rows) / BLOCK_ROWS + 1)))))
     routed = staged(repeated(merged(filters(meta, block_bits))), "repeated")
-    bits, bitmap = route_bitmap(routed, routed.count())
-    groups = staged(verified(df, text_col, bits, bitmap), "groups")
-    elected = (
-        meta.join(groups, "sha")
-        .groupBy("sha", "group_size")
-        .agg(F.max(F.struct("n_chars", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("low"), (-F.col("row")).alias("first"))).alias("best"))
-        .select("sha", "group_size", (-F.col("best.low")).alias("keep_id"), (-F.col("best.first")).alias("keep_row"))
-    )
+    groups = staged(groups_of(df, text_col, routed, route_bits), "groups")
+    # the best row of every digest, by a partial aggregation: a hot digest costs each task one row
+    rank = F.struct("n_chars", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("low"), (-F.col("row")).alias("first"))
+    best = meta.groupBy("sha").agg(F.max(rank).alias("best"))
+    elected = best.join(groups, "sha").select("sha", "group_size", (-F.col("best.low")).alias("keep_id"), (-F.col("best.first")).alias("keep_row"))
     return meta.join(elected, "sha", "left").select(
         "id",
         "raw",

@@ -222,8 +222,10 @@ def slow_groups(rows):
     return groups
 
 
-def test_exact_groups_of_odd_rows(odd, empty):
-    got = exact_dedup.exact_dedup(odd).collect()
+@pytest.mark.parametrize("route_bits", [26, 1])
+def test_exact_groups_of_odd_rows(odd, empty, route_bits):
+    """By the bitmap, and by the join where the bitmap is too small for the repeated fingerprints."""
+    got = exact_dedup.exact_dedup(odd, route_bits=route_bits).collect()
     groups = slow_groups(odd_rows())
     assert len(got) == odd.count()
     by_sha = collections.defaultdict(list)
