@@ -2,20 +2,28 @@
 
 Writing: a page makes three records that stand together, a request, a response (or a
 revisit of an earlier equal payload) and a metadata record; the request and the metadata name the
-response in ``WARC-Concurrent-To``.  Spark's own text writer puts them, gzipped, in the shared folder; the
-two line ends that close a record are its line separator.  Files hold a bounded
-number of captures.
+response in ``WARC-Concurrent-To``.  Each record is a gzip member of its own (``.warc.gz``, so readers can go to any record),
+and an archive starts with a ``warcinfo`` record.  An archive is closed when it has ``ARCHIVE_BYTES``.
 
-Reading: whole files arrive through Spark's binary reader (any store that Spark reads) and
-are cut by each record's ``Content-Length``, one record at a time.
+Spark's own text writer puts the archives in the shared folder, one row each, under its commit protocol: a gzip member ends
+with the length of its contents as a little-endian 32-bit number, whose last byte is zero under 16 MB, and that
+zero byte is the writer's line separator.  A larger last record is cut into members (readers join them).
+
+Only rows whose payload occurs twice need to know of others: their digests are found in a first, narrow pass and
+written to the shared folder, so the pages themselves are shuffled only where that table is too large to broadcast.
+
+Reading: whole archives arrive through Spark's binary reader (any store that Spark reads), are
+unpacked as they are read and cut by each record's ``Content-Length``, one record at a time.
 
 Assembly: records meet by the identifier they are concurrent to, one nested row per
-capture; a revisit then takes its payload's size and digest from the response it refers to.
+capture, first inside their archive and, for what has no partner there, over all archives; a revisit then takes its
+payload's size and digest from the response it refers to.
 
 Defined results: a null page counts as empty, a null URL as ``urn:unknown``; pages under ``MIN_DUPLICATE``
 bytes are never revisits; of equal payloads the smallest page id is the response (null ids last), and
-repeated rows of that id are responses too, each a capture of its own; a capture without request or
-metadata has null there; an empty table gives no archives and no rows; extra columns are ignored.
+repeated rows of that id are responses too, each a capture of its own; rows without an id are responses unless a
+row with one has their payload; page ids are whole numbers; a capture without request or
+metadata has null there; an empty table gives no archives and no rows; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import fresh_path, staged
 
 VERSION = "WARC/1.1"
 EOL = "\r\n"
 #: Payloads of fewer bytes are stored each time.
 MIN_DUPLICATE = 100
-#: Captures per archive file; bounds what a reading task holds.
-FILE_CAPTURES = 1000
+#: An archive is closed when it has this many bytes, packed; bounds what a task holds.
+ARCHIVE_BYTES = 16 << 20
+#: Contents of one gzip member, at most, where the last byte of its length has to be zero.
+MEMBER_BYTES = (1 << 24) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
     "file string, ordinal long, record_id string, type string, concurrent_to string, refers_to string, uri string, "
@@ -44,9 +54,10 @@ RECORD = (
 )
 
 
-def record_id(kind: str, page: Column) -> Column:
-    """A record's identifier, a UUID that follows from its kind and page."""
-    h = F.md5(F.concat(F.lit(kind + "|"), F.coalesce(page.cast("string"), F.lit("null"))).cast("binary"))
+def record_id(kind: str, page: Column, other: Column | None = None) -> Column:
+    """A record's identifier, a UUID that follows from its kind and page (from ``other`` without one)."""
+    without = F.lit("null") if other is None else F.concat(F.lit("null|"), other)
+    h = F.md5(F.concat(F.lit(kind + "|"), F.coalesce(page.cast("string"), without)).cast("binary"))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -67,21 +78,24 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     # a row for each payload that occurs twice: copies are counted before they are shuffled
     large = rows.where(F.octet_length("html") >= MIN_DUPLICATE)
     repeated = large.groupBy("digest").agg(F.count("*").alias("n"), F.min("page").alias("first")).where("n > 1").select("digest", "first")
+    # written first, so that its size is known and the pages are shuffled only if it is large
+    repeated = staged(repeated, "repeated")
     joined = rows.join(repeated, "digest", "left")
     original = F.when(~F.col("page").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.col("first"))
     return joined.select("page", "url", "html", "digest", original.alias("original"))
 
 
 def transactions(found: DataFrame, date: str) -> DataFrame:
-    """The text of each capture's records, one row per capture."""
+    """Each capture's ``records``, texts of request, capture and metadata; one row per capture."""
     url, page = F.col("url"), F.col("page")
-    stamp, own = F.lit(date), record_id("response", page)
+    anonymous = F.concat(F.col("digest"), url)
+    stamp, own = F.lit(date), record_id("response", page, anonymous)
     payload = F.concat(F.lit("sha256:"), F.col("digest"))
     path = F.when(url.rlike("^https?://[^/]+/"), F.regexp_replace(url, "^https?://[^/]+", "")).otherwise(F.lit("/"))
     host = F.regexp_extract(url, "^https?://([^/]+)", 1)
     http = F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}")
     request = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", page)), ("WARC-Date", stamp), ("WARC-Target-URI", url), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))],
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", page, anonymous)), ("WARC-Date", stamp), ("WARC-Target-URI", url), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), path, F.lit(f" HTTP/1.1{EOL}Host: "), host, F.lit(EOL + EOL)),
     )
     response = _record(
@@ -93,50 +107,137 @@ def transactions(found: DataFrame, date: str) -> DataFrame:
         F.concat(http, F.lit(EOL)),
     )
     metadata = _record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", page)), ("WARC-Date", stamp), ("WARC-Target-URI", url), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))],
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", page, anonymous)), ("WARC-Date", stamp), ("WARC-Target-URI", url), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("pageId: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(EOL)),
     )
-    gap = EOL + EOL
     capture = F.when(F.col("original").isNull(), response).otherwise(revisit)
-    return found.select(F.concat(request, F.lit(gap), capture, F.lit(gap), metadata).alias("value"))
+    return found.select(F.array(request, capture, metadata).alias("records"))
+
+
+def member(record: bytes) -> bytes:
+    """A record and its two line ends as a gzip member whose last byte is zero (several for a large one)."""
+    data = record + b"\r\n\r\n"
+    pieces = [data[at : at + MEMBER_BYTES] for at in range(0, len(data), MEMBER_BYTES)]
+    out = []
+    for piece in pieces:
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(packer.compress(piece) + packer.flush())
+    return b"".join(out)
+
+
+def info(date: str) -> bytes:
+    """The record that an archive starts with."""
+    block = f"software: tessera{EOL}format: WARC File Format 1.1{EOL}".encode()
+    head = [VERSION, "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return EOL.join([*head, "", ""]).encode() + block
 
 
-def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", **columns: str) -> None:
-    """Write gzipped archives of the pages into the folder ``path``."""
-    rows = transactions(captures(pages, **columns), date)
-    rows.write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES).text(path)
+def archives(transactions_: DataFrame, date: str, size: int = ARCHIVE_BYTES) -> DataFrame:
+    """Whole archives, one row each, without their last byte, which is zero."""
+
+    def run(batches):
+        def closed(parts: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], ["value"])
+
+        held: list[bytes] = []
+        length = 0
+        for batch in batches:
+            for n in range(batch.num_rows):
+                packed = b"".join(member(r.as_buffer().to_pybytes()) for r in batch.column(0)[n].values.cast(pa.binary()))
+                if held and length + len(packed) > size:
+                    yield closed(held)
+                    held, length = [], 0
+                if not held:
+                    held = [member(info(date))]
+                held.append(packed)
+                length += len(packed)
+        if held:
+            yield closed(held)
+
+    return transactions_.mapInArrow(run, "value binary")
+
+
+def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", size: int = ARCHIVE_BYTES, **columns: str) -> None:
+    """Write archives of the pages into the folder ``path``, each of about ``size`` bytes at most."""
+    rows = archives(transactions(captures(pages, **columns), date), date, size)
+    text = rows.select(F.col("value").cast("string").alias("value"))
+    text.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+    _name_archives(pages.sparkSession, path)
+
+
+def _name_archives(spark: SparkSession, path: str) -> None:
+    """Rename the committed files to what they are; an archive without rows leaves no file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(at):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            if status.getLen() == 0:
+                fs.delete(status.getPath(), False)
+            else:
+                fs.rename(status.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, name.removesuffix(".txt") + ".warc.gz"))
+
+
+def unpacked(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """Contents of a gzip stream of any number of members, piece by piece; other data as they are."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    rest = memoryview(data)
+    while len(rest):
+        one = zlib.decompressobj(31)
+        while not one.eof and len(rest):
+            fed = rest[:step]
+            out = one.decompress(fed)
+            rest = rest[len(fed) - len(one.unused_data) :]
+            if out:
+                yield out
+        if not one.eof:
+            raise ValueError("the archive is cut short")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-cased names) and block of each record of an archive, gzipped or not."""
-    if data[:2] == b"\x1f\x8b":
-        out, rest = [], data
-        while rest:
-            member = zlib.decompressobj(31)
-            out.append(member.decompress(rest))
-            rest = member.unused_data
-        data = b"".join(out)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
+    """Header fields (lower-cased names) and block of each record of an archive, gzipped or not; one record is held at a time."""
+    pieces = unpacked(data)
+    held, at = bytearray(), 0
+
+    def more() -> bool:
+        nonlocal held, at
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        del held[:at]
+        at = 0
+        held += piece
+        return True
+
+    while True:
+        while held[at : at + 2] == b"\r\n":
+            at += 2
+        if len(held) - at < 5:
+            if more():
+                continue
+            if not held[at:].strip(b"\r\n"):
+                return
+        if not held.startswith(b"WARC/", at):
+            raise ValueError(f"no WARC record: {bytes(held[at : at + 20])!r}")
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                raise ValueError("a record's header is cut short")
         fields: dict[str, str] = {}
-        for line in data[at:end].decode("utf-8").split(EOL)[1:]:
+        for line in held[at:end].decode("utf-8").split(EOL)[1:]:
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
-        start = end + 4
-        stop = start + int(fields["content-length"])
-        if stop > len(data):
-            raise ValueError(f"the record at byte {at} is cut short")
-        yield fields, data[start:stop]
-        at = stop
-        while data.startswith(b"\r\n", at):
-            at += 2
+        size, skip = int(fields["content-length"]), end + 4 - at
+        while len(held) - at < skip + size:
+            if not more():
+                raise ValueError("a record is cut short")
+        yield fields, bytes(held[at + skip : at + skip + size])
+        at += skip + size
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row per record of the archives in ``path``.
+    """One row per record of the archives (``.warc``, ``.warc.gz``) in ``path``, ``warcinfo`` records apart.
 
     ``content`` is a response's payload (null unless ``payload``) or another record's block.
     """
@@ -147,6 +248,8 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                 rows = []
                 for n, (fields, block) in enumerate(parse(data)):
                     kind, content, size, digest = fields.get("warc-type"), None, None, None
+                    if kind == "warcinfo":
+                        continue
                     if kind == "response":
                         body = block.partition(b"\r\n\r\n")[2]
                         size, digest = len(body), hashlib.sha256(body).hexdigest()
@@ -161,7 +264,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
     return files.mapInArrow(run, RECORD)
 
 
@@ -175,7 +278,9 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: ``capture``, ``request``, ``metadata`` (structs of a record's fields).
 
     Records meet by the identifier of the response or revisit that they are or that they
-    are concurrent to; captures that share an identifier are told apart by their order in the archives.
+    are concurrent to, in their archive first: captures there that share an identifier (pages without an id, repeated
+    pages) are told apart by their order, and however many rows share one, a group is no larger than an
+    archive.  Requests and metadata without a capture in their archive go to captures of that identifier elsewhere.
     """
     fields = ["file", "ordinal", *[c for c in records.columns if c not in ("file", "ordinal")]]
     one = F.struct(*fields)
@@ -185,11 +290,12 @@ def assemble(records: DataFrame) -> DataFrame:
     def those(condition: Column) -> Column:
         return F.sort_array(F.collect_list(F.when(condition, one)))
 
-    grouped = keyed.where("transaction is not null").groupBy("transaction").agg(
+    grouped = keyed.where("transaction is not null").groupBy("transaction", "file").agg(
         those(is_capture).alias("c"), those(F.col("type") == "request").alias("r"), those(F.col("type") == "metadata").alias("m")
     )
-    each = grouped.select(F.posexplode("c").alias("n", "capture"), "r", "m")
-    return each.select("capture", F.get("r", "n").alias("request"), F.get("m", "n").alias("metadata"))
+    away = grouped.where(F.size("c") == 0).groupBy("transaction").agg(F.min(F.get("r", F.lit(0))).alias("far_r"), F.min(F.get("m", F.lit(0))).alias("far_m"))
+    each = grouped.select("transaction", F.posexplode("c").alias("n", "capture"), "r", "m").join(away, "transaction", "left")
+    return each.select("capture", F.coalesce(F.get("r", "n"), "far_r").alias("request"), F.coalesce(F.get("m", "n"), "far_m").alias("metadata"))
 
 
 def resolved(assembled: DataFrame) -> DataFrame:
@@ -197,7 +303,9 @@ def resolved(assembled: DataFrame) -> DataFrame:
     key = F.coalesce("capture.refers_to", "capture.record_id")
     responses = assembled.where("capture.type = 'response'").select(F.col("capture.record_id").alias("key"), F.struct("capture", "metadata").alias("original"))
     responses = responses.dropDuplicates(["key"])
-    return assembled.withColumn("key", key).join(responses, "key", "left").drop("key")
+    # responses take the join's key for even partitions only: captures may share an identifier
+    own = F.when(F.col("capture.type") == "response", F.struct("capture", "metadata")).otherwise(F.col("original"))
+    return assembled.withColumn("key", key).join(responses, "key", "left").withColumn("original", own).drop("key")
 
 
 def page_of(metadata: Column) -> Column:
@@ -209,9 +317,6 @@ def page_of(metadata: Column) -> Column:
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write the pages to archives in the shared folder, read them back and assemble the captures."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/warc"
+    path = fresh_path(spark, "warc")
     write(pages, path, id_col=id_col, url_col=url_col, html_col=html_col)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    at.getFileSystem(conf).deleteOnExit(at)
     return resolved(assemble(read(spark, path, payload=False)))
