@@ -9,8 +9,7 @@ popped and merged until no ranked pair is left; the count is the number of first
 the number of merges.  No identifier is made on that path.
 
 NFC, the case and the pattern never reach over white space, so runs without white
-space are worked on apart and remembered by the Python worker, as are words, in bounded tables
-of two generations: what has been used since the last change stays.
+space are worked on apart and remembered by the Python worker, in a bounded table.
 
 Defined results: a null or empty text has no tokens; white space alone has none;
 texts of any length are read whole; repeated rows give repeated rows, tied or null ids are
@@ -34,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, texts_of
 from .piece_bpe import read_file
 
-#: Runs without white space, and words, kept per Python worker and table, each about 150 bytes.
-CACHE_RUNS = 500_000
+#: Runs without white space kept per Python worker, each about 150 bytes.
+CACHE_RUNS = 600_000
 #: Cut by str.split but not white space for the tokenizer's pattern.
 _ODD_SPACES = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
@@ -54,24 +53,6 @@ def byte_letters() -> list[str]:
     return out
 
 
-class Recent:
-    """A table of what was used last: two generations, the older one dropped when the younger is full."""
-
-    def __init__(self, make: Callable):
-        self.make, self.young, self.old = make, {}, {}
-
-    def __call__(self, key: str):
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is None:
-                found = self.make(key)
-            if 2 * len(self.young) >= CACHE_RUNS:
-                self.old, self.young = self.young, {}
-            self.young[key] = found
-        return found
-
-
 class WordModel:
     """The tables of a word-end BPE tokenizer file."""
 
@@ -99,9 +80,8 @@ class WordModel:
             self.merges.setdefault(self.vocab[a] << 20 | self.vocab[b], rank << 20 | self.vocab[a + b])
         # a text without the first character of every special string has none of them
         self._openers = sorted({t[0] for t in self.added})
-        count = Recent(self.count)
-        self._counts = Recent(lambda run: sum(map(count, self.words(run))))
-        self._ids = Recent(lambda run: np.array([i for w in self.words(run) for i in self.word_ids(w)], "<u4").tobytes())
+        self._counts: dict[str, int] = {}
+        self._ids: dict[str, bytes] = {}
         self._tokenizer = None
         self._byte = {x: b for b, x in enumerate(self.letters)}
 
@@ -180,23 +160,38 @@ class WordModel:
             return [x for x in _SPACE.split(text) if x]
         return text.split()
 
-    def _per_text(self, texts: list[str], of_run: Recent, special: Callable, total: Callable) -> list:
-        out = []
+    def _per_text(self, texts: list[str], cache: dict, of_run: Callable, special: Callable, total: Callable) -> list:
+        out, new = [], []
         for text in texts:
             parts = []
             segments = _with_specials(self.special, text) if any(c in text for c in self._openers) else [text]
             for n, segment in enumerate(segments):
-                parts.append(special(segment) if n % 2 else total(map(of_run, self._runs(segment))))
+                if n % 2:
+                    parts.append(special(segment))
+                    continue
+                runs = self._runs(segment)
+                for run in runs:
+                    if run not in cache:
+                        cache[run] = of_run(run)
+                        new.append(run)
+                parts.append(total([cache[run] for run in runs]))
             out.append(total(parts))
+        if len(cache) > CACHE_RUNS:  # full: what came first, the frequent runs among it, stays
+            for run in new:
+                del cache[run]
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
         """Number of tokens of each text."""
-        return self._per_text(texts, self._counts, lambda s: 1, sum)
+        return self._per_text(texts, self._counts, lambda run: sum(map(self.count, self.words(run))), lambda s: 1, sum)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Identifiers of each text, as little-endian unsigned 32-bit integers."""
-        return self._per_text(texts, self._ids, lambda s: np.array([self.added[s]], "<u4").tobytes(), b"".join)
+
+        def of_run(run: str) -> bytes:
+            return np.array([i for w in self.words(run) for i in self.word_ids(w)], "<u4").tobytes()
+
+        return self._per_text(texts, self._ids, of_run, lambda s: np.array([self.added[s]], "<u4").tobytes(), b"".join)
 
 
 def _with_specials(pattern, text: str) -> list[str]:
