@@ -10,6 +10,10 @@ Shingles are five lower-cased words; a text of fewer words is one shingle, a tex
 without words has the empty sketch.  A null text counts as empty.  Two empty sketches
 resemble each other fully, an empty one and another not at all.
 
+Defined results besides: texts of any length are read whole; repeated rows give equal sketches, one row each; rows with
+tied ids stand in the order of their texts, rows without an id before all others (one repeated id, or none, is one range
+and so one task); an empty table gives no rows; extra columns are ignored, whatever they are called.
+
 Hashes are kept as signed longs with the top bit flipped, so that Spark's signed
 order is the unsigned order of the hashes.
 """

@@ -14,7 +14,8 @@ Words already seen by the Python worker are looked up; the table is bounded.  On
 identity normalisation, a dummy prefix and byte fallback are accepted.
 
 Defined results: a null or empty text encodes to begin and end ids alone; repeated
-rows encode alike; texts of any length are encoded whole.
+rows encode alike, one row each; tied or null ids are carried along; texts of any length are encoded whole; an
+empty table gives no rows; columns besides those named are ignored, whatever they are called.
 """
 
 from __future__ import annotations

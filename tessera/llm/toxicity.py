@@ -14,8 +14,8 @@ model is broadcast (a word and a number for each word learned).
 
 Defined results: a null or empty text, or one without a known word, gets the score of the
 model's constant; with no labels, or labels of one kind only, the constant is their
-share; repeated words count once; rows with a null id or label are not learned from; extra
-columns are ignored.
+share; repeated words count once; rows with a null id or label are not learned from; repeated rows
+and tied ids are scored one by one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -138,6 +138,17 @@ def test_stages_keep_one_of_each_repeated_row_and_all_columns(spark, odd, empty,
     assert stage(spark, empty, DATA).count() == 0
 
 
+def test_first_and_last_stage_take_odd_rows(spark, odd):
+    """Rows are judged one by one, and packed each; columns called as the stages' own come through."""
+    clash = odd.selectExpr("*", "1 AS row", "2 AS score", "'x' AS known", "3 AS kid", "4 AS n", "'y' AS lang_pred")
+    kept = stages.drop_toxic(spark, clash, DATA)
+    assert kept.columns == clash.columns and kept.count() == clash.count()
+    for stage in (stages.drop_unknown_language, stages.drop_exact_copies, stages.drop_near_copies):
+        assert stage(spark, clash, DATA).columns == clash.columns
+    rows = stages.pack_sequences(spark, odd, DATA).where("piece = 0").collect()
+    assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter(i for i, _ in odd_rows())
+
+
 def test_toxic_stage_with_no_rows(spark, empty):
     assert stages.drop_toxic(spark, empty, DATA).count() == 0
     assert stages.pack_sequences(spark, empty, DATA).count() == 0
