@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, map_batches, raw_key, slices, staged
+from .common import bytes_of, map_batches, raw_key, slices, staged, tidy
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Rows whose fingerprints one merge task handles on average.
@@ -178,7 +178,7 @@ def filters(prints: DataFrame, block_bits: int, column: str = "print") -> DataFr
         built = [QuotientFilter.build(found[a:b], counts[a:b], block_bits).to_bytes() for a, b in zip(edges, edges[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]], pa.int32()), pa.array(built, pa.binary())], ["block", "filter"])
 
-    return prints.select(column).mapInArrow(run, "block int, filter binary")
+    return prints.select(column).mapInArrow(tidy(run), "block int, filter binary")
 
 
 def merged(parts: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def distinct_texts(df: DataFrame, text_col: str, bits: int = 0, bitmap: bytes =
                     columns = [pa.array(prints), pa.array(shas, pa.binary()), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["print", "sha", "bytes", "n"])
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "print long, sha binary, bytes binary, n long")
+    return df.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "print long, sha binary, bytes binary, n long")
 
 
 def verified(df: DataFrame, text_col: str, bits: int, bitmap: bytes) -> DataFrame:

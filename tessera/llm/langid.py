@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, texts_of, tidy
 
 UNKNOWN = "und"
 SPACE = 32
@@ -273,7 +273,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", profile
             )
 
     known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sums = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(partial, "lang string, v array<long>")
+    sums = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(tidy(partial), "lang string, v array<long>")
     total = sums.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("v")).orderBy("lang").collect()
     return {r["lang"]: Language(np.array(r["v"][:-1], dtype=np.float64), r["v"][-1]) for r in rows}
@@ -324,4 +324,4 @@ def identify(df: DataFrame, learned: dict[str, Language], id_col: str = "doc_id"
                 made = [pa.array(lang), *(pa.array(x, pa.float64()) for x in (score, margin, fit)), pa.array(known)]
                 yield pa.RecordBatch.from_arrays([*same, *made], [*(f.name for f in kept), "lang_pred", "score", "margin", "fit", "known"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, map_batches, raw_key, staged
+from .common import bytes_of, map_batches, raw_key, staged, tidy
 from .components import components
 
 WIDTH = 3
@@ -239,7 +239,7 @@ def links(prints: DataFrame, limit: int = LONG_LIST) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), entry))], ["a", "b", "entry"])
 
-    met = staged(lists.mapInArrow(first, ENTRY), "links")
+    met = staged(lists.mapInArrow(tidy(first), ENTRY), "links")
     held = met.where("entry").select(F.col("a").alias("key"), F.col("b").alias("rest"))
     again = posted_again(held).repartition("key", "sub").sortWithinPartitions("key", "sub")
 
@@ -256,7 +256,7 @@ def links(prints: DataFrame, limit: int = LONG_LIST) -> DataFrame:
         if len(columns[0]):
             yield _batch(*links_again(*columns, limit))
 
-    return met.where("NOT entry").select("a", "b").union(again.mapInArrow(second, "a long, b long"))
+    return met.where("NOT entry").select("a", "b").union(again.mapInArrow(tidy(second), "a long, b long"))
 
 
 def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, staged, texts_of
+from .common import map_batches, slices, staged, texts_of, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_ROWS = 20_000
@@ -256,4 +256,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 scores = pa.array([m.score(t) for t in texts_of(batch.column("__text"))], pa.float64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), scores], [*(f.name for f in kept), "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, staged
+from .common import fresh_path, staged, tidy
 
 VERSION = "WARC/1.1"
 EOL = "\r\n"
@@ -154,7 +154,7 @@ def archives(transactions_: DataFrame, date: str, size: int = ARCHIVE_BYTES) ->
         if held:
             yield closed(held)
 
-    return transactions_.mapInArrow(run, "value binary")
+    return transactions_.mapInArrow(tidy(run), "value binary")
 
 
 def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", size: int = ARCHIVE_BYTES, **columns: str) -> None:
@@ -265,7 +265,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                     yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
-    return files.mapInArrow(run, RECORD)
+    return files.mapInArrow(tidy(run), RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
