@@ -3,6 +3,7 @@
 import pytest
 
 from tessera.llm import components, license_scan, stages
+from tessera.llm.common import tidy
 
 
 def test_millions_of_edges_settle(spark):
@@ -70,3 +71,16 @@ def test_wrapped_licences(text, labels, sentences, lead, end):
     # the spans are those of the text itself
     folded = [" ".join(lowered[d.start : d.end].replace(lead.strip() or "\n", " ").split()) for d in found]
     assert folded == [" ".join(" ".join(text.lower().split())[d.start : d.end].split()) for d in plain]
+
+
+def test_tidy_passes_batches_and_failures_on():
+    def run(batches):
+        for b in batches:
+            if b is None:
+                raise ValueError("bad batch")
+            yield b
+
+    assert list(tidy(run)(iter([1, 2]))) == [1, 2]
+    assert list(tidy(run)(iter([]))) == []
+    with pytest.raises(ValueError, match="bad batch"):
+        list(tidy(run)(iter([1, None])))
