@@ -7,9 +7,12 @@ decide.  Links make components, and no component is missed:
 
 * Equal sets are put together first.  Shingles have one order for all texts: those that a sample of the texts
   repeats come last, by their number there, others by hash.  Two sets of similarity 0.8 share one of their first
-  ``size // 5 + 1`` shingles.  A text is posted under these; texts of a list of up to 32 meet pairwise.
+  ``size // 5 + 1`` shingles, and one more for each by which both go on.  A text is posted under ``size // 20`` more than
+  these; texts of a list of up to 32 meet pairwise.
 * A pair whose shared first shingles and remaining ones together can't reach 0.8 is dropped before texts are read.
-* A longer list isn't compared pairwise.  It elects a chief, and each text of it is told by its delta: the shingles that one of the two
+* A pair that meets in no such list shares longer lists only, one more than the smaller text's ``size // 20``.  A text in fewer of them leaves
+  them all: texts with one passage in common share few of their first shingles.  Lists that are short then meet pairwise too.
+* A list that is still longer isn't compared pairwise.  It elects a chief, and each text of it is told by its delta: the shingles that one of the two
   has and the other lacks.  Two sets differ in as many shingles as their deltas do, so a pair is linked for certain
   where both deltas are short, and then both are linked to the text whose delta is shortest for its size: one link a text.
   All are compared with some of them.  Texts that still are not in the component of most (outer ones)
@@ -43,6 +46,8 @@ WIDTH = 5
 SEED = 42
 #: Lists up to this length are compared pairwise.
 SHORT_LIST = 32
+#: One shingle in so many is posted beyond those of which two near sets share one.
+MORE = 20
 #: Texts, and repeated shingles of them, that the order of shingles is made of.
 SAMPLE_TEXTS = 10_000
 SAMPLE_SHINGLES = 1 << 17
@@ -61,6 +66,11 @@ def similar(shared: Column, one: Column, two: Column) -> Column:
     return 9 * shared >= 4 * (one + two)
 
 
+def n_first(size: int) -> int:
+    """Of how many first shingles a set is posted under."""
+    return size // 5 + 1 + size // MORE
+
+
 def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample have, sorted, and in how many; at most ``SAMPLE_SHINGLES``."""
     step = max(1, docs.count() // SAMPLE_TEXTS)
@@ -78,7 +88,7 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
 
 
 def first_shingles(one: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first ``size // 5 + 1`` shingles of a sorted set: uncommon ones by hash, then common ones by number and hash."""
+    """The first :func:`n_first` shingles of a sorted set: uncommon ones by hash, then common ones by number and hash."""
     if not len(one):
         return one
     keys, n = common
@@ -86,7 +96,7 @@ def first_shingles(one: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np
     if len(keys):
         place = np.minimum(np.searchsorted(keys, one), len(keys) - 1)
         often = np.where(keys[place] == one, n[place], 0)
-    return one[np.argsort(often, kind="stable")[: len(one) // 5 + 1]]
+    return one[np.argsort(often, kind="stable")[: n_first(len(one))]]
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -181,7 +191,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFr
     what one of the two has behind its first shingles.
     """
     sizes = nodes.select("node", "size").join(entries.groupBy("node").agg(F.count("*").alias("long")), "node", "left")
-    sizes = staged(sizes.select("node", F.struct("size", F.coalesce("long", F.lit(0)).alias("long"), (F.col("size") - F.floor(F.col("size") / 5) - 1).alias("rest")).alias("of")), "sizes")
+    sizes = staged(sizes.select("node", F.struct("size", F.coalesce("long", F.lit(0)).alias("long"), (F.col("size") - F.floor(F.col("size") / 5) - 1 - F.floor(F.col("size") / MORE)).alias("rest")).alias("of")), "sizes")
     both = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
     both = both.join(sizes.select(F.col("node").alias("a"), F.col("of").alias("one")), "a").join(sizes.select(F.col("node").alias("b"), F.col("of").alias("two")), "b")
     most = F.col("n") + F.least("one.long", "two.long") + F.greatest("one.rest", "two.rest")
@@ -189,6 +199,16 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFr
     return good.select("a", "b", F.col("one.size").alias("a_size"), F.col("two.size").alias("b_size"))
 
 
+def _lasting(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``size`` of the entries whose text is in enough of these lists to have a partner that it meets in no other.
+
+    A partner has four fifths of its size at least, and shares one shingle more than the smaller text is posted under beyond the guaranteed.
+    """
+    least = F.floor(F.floor((4 * F.col("size") + 4) / 5) / MORE) + 1
+    able = entries.groupBy("node").agg(F.count("*").alias("n")).join(nodes.select("node", "size"), "node").where(F.col("n") >= least)
+    return entries.join(able.select("node", "size"), "node").select("key", "node", "size")
+
+
 def _elected(entries: DataFrame) -> DataFrame:
     """``chief`` and ``node`` of long lists: each list's elected text with all texts of the list, itself included."""
     one = F.struct(F.xxhash64("node").alias("draw"), F.col("node").alias("chief"))
@@ -293,9 +313,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         met, met_at = written(_met(prints.select("node", "size", F.explode("first").alias("key")), limit), "lists")
         discard(spark, prints_at)
         entries = met.where("entry").select(F.col("a").alias("key"), F.col("b").alias("node"))
-        shared = met.where("NOT entry").select("a", "b", F.lit(1).alias("n")).union(by_simhash(nodes).distinct().select("a", "b", F.lit(0)))
+        again = staged(_met(_lasting(entries, nodes), limit), "again")
+        held = again.where("entry").select(F.col("a").alias("key"), F.col("b").alias("node"))
+        shared = met.where("NOT entry").union(again.where("NOT entry")).select("a", "b", F.lit(1).alias("n")).union(by_simhash(nodes).distinct().select("a", "b", F.lit(0)))
         pairs = staged(_plausible(shared, nodes, entries), "pairs")
-        elected = staged(_elected(entries), "elected")
+        elected = staged(_elected(_lasting(held, nodes)), "elected")
         discard(spark, met_at)
         named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(elected.select("node")).distinct()
         whole, whole_at = written(_sets(docs, nodes.join(named, "node").select("raw", "node"), text_col), "whole")

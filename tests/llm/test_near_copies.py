@@ -95,3 +95,31 @@ def test_lists_may_be_cut_anywhere(spark):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert sorted((r["a"], r["b"]) for r in met if r["entry"]) == sorted((k, n) for k, n, _ in set(rows) if k in (1, 3, 5))
         assert sorted((r["a"], r["b"]) for r in met if not r["entry"]) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_near_sets_share_one_more_first_shingle_for_each_posted_beyond():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        shared = rng.integers(-(1 << 62), 1 << 62, rng.integers(1, 400))
+        more = rng.multinomial(len(shared) // 4, rng.dirichlet((1, 1)))
+        one, two = (np.unique(np.append(shared, rng.integers(-(1 << 62), 1 << 62, n))) for n in more)
+        if 9 * len(np.intersect1d(one, two)) < 4 * (len(one) + len(two)):
+            continue
+        common = np.sort(rng.choice(one, len(one) // 3, replace=False)), rng.integers(2, 9, len(one) // 3)
+        met = np.intersect1d(*(near_copies.first_shingles(x, common) for x in (one, two)))
+        assert len(met) > min(len(one), len(two)) // near_copies.MORE
+
+
+def test_texts_with_one_passage_in_common_make_no_deltas(spark, monkeypatch):
+    """Long lists of texts that are far apart, whose deltas would hold both texts whole."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(16)]
+    texts = [[*(f"t{n}w{i}" for i in range(190)), *passage] for n in range(40)]
+    texts = [" ".join(t) for t in texts + [edited(rng, texts[n], 3) for n in (5, 6, 6, 9)]]
+    chiefs = []
+    deltas = near_copies._deltas
+    monkeypatch.setattr(near_copies, "_deltas", lambda elected, whole: chiefs.append(elected.count()) or deltas(elected, whole))
+    # no shingle is known as common
+    monkeypatch.setattr(near_copies, "SAMPLE_TEXTS", 1)
+    assert got_kept(spark, texts, limit=5) == slow_kept(texts) == set(range(40))
+    assert chiefs == [0]
