@@ -17,9 +17,10 @@ decide.  Links make components, and no component is missed:
   where both deltas are short, and then both are linked to the text whose delta is shortest for its size: one link a text.
   All are compared with some of them.  Texts that still are not in the component of most (outer ones)
   need a partner with a good part of their delta in common: a second prefix index over the deltas, rarest shingles
-  first, finds all of those that are not in one component yet.
+  first, finds all of those that are not in one component yet.  Deltas of linked texts differ in a quarter of the size at most, so a
+  text is posted under ``size // 4 + 1`` shingles at most, however far it is from the chief.  Which are rare is told by one delta in ``DELTAS``.
 
-The sample decides on an order, never on a link.  Work is linear in the postings but for texts that are made of common passages
+The samples decide on an order, never on a link.  Work is linear in the postings but for texts that are made of common passages
 in ever other choice, which meet pairwise.
 
 Words are lower-cased as bytes; a text of fewer words than five is one shingle; texts without words are
@@ -53,6 +54,8 @@ SAMPLE_TEXTS = 10_000
 SAMPLE_SHINGLES = 1 << 17
 #: Texts of a chief that all its texts are compared with.
 STARS = 64
+#: Of so many deltas one is drawn for the order of their shingles.
+DELTAS = 8
 SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -80,23 +83,31 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["key"])
 
     drawn = docs.select(F.col(text_col).alias("text")).where(F.pmod(raw_key("text"), F.lit(step)) == 0).dropDuplicates(["text"])
-    counts = map_batches(drawn, run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return _most(map_batches(drawn, run, "key long"))
+
+
+def _most(drawn: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The repeated ones of ``key``, sorted, and how often they are there; at most ``SAMPLE_SHINGLES``, of those most often there."""
+    counts = drawn.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     found = counts.orderBy(F.desc("n")).limit(SAMPLE_SHINGLES).toArrow()
     keys, n = (np.asarray(found.column(c).combine_chunks(), np.int64) for c in ("key", "n"))
     at = np.argsort(keys)
     return keys[at], n[at]
 
 
-def first_shingles(one: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first :func:`n_first` shingles of a sorted set: uncommon ones by hash, then common ones by number and hash."""
-    if not len(one):
-        return one
+def rare_first(one: np.ndarray, common: tuple[np.ndarray, np.ndarray], chief: int = 0) -> np.ndarray:
+    """A sorted set in order: uncommon shingles by hash, then common ones by number and hash; of a delta, those common among its chief's."""
     keys, n = common
-    often = np.zeros(len(one), np.int64)
-    if len(keys):
-        place = np.minimum(np.searchsorted(keys, one), len(keys) - 1)
-        often = np.where(keys[place] == one, n[place], 0)
-    return one[np.argsort(often, kind="stable")[: n_first(len(one))]]
+    if not len(one) or not len(keys):
+        return one
+    told = one ^ chief
+    place = np.minimum(np.searchsorted(keys, told), len(keys) - 1)
+    return one[np.argsort(np.where(keys[place] == told, n[place], 0), kind="stable")]
+
+
+def first_shingles(one: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first :func:`n_first` shingles of a sorted set."""
+    return rare_first(one, common)[: n_first(len(one))]
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -261,11 +272,18 @@ def star_links(known: DataFrame) -> DataFrame:
     return met.select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
 
 
-def outer_pairs(known: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` with their sizes that may be linked, of two roots, so that one node at least is outer.
+def common_of_chiefs(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of one chief's drawn deltas have, told by ``chief ^ shingle`` and sorted, and in how many; at most ``SAMPLE_SHINGLES``."""
+    drawn = known.where(F.pmod(F.xxhash64("node"), F.lit(DELTAS)) == 0)
+    return _most(drawn.select("chief", F.explode("delta").alias("key")).select(F.col("chief").bitwiseXOR(F.col("key")).alias("key")))
+
+
+def outer_posts(known: DataFrame) -> DataFrame:
+    """The second prefix index: ``chief``, ``key`` and the text, of chiefs with outer ones; ``left``: how many of its delta are left from the key on.
 
     Linked nodes of two roots share one eighteenth of the sum of both ``far`` at least, and one shingle at least, as
-    certain links have been drawn before.
+    certain links have been drawn before.  Their deltas differ in as many shingles as their sets do: a ninth of both sizes at most,
+    so a quarter of either.  ``inner``: the key will do for a partner that is outer.
     """
     least = known.groupBy("chief").agg(F.min("far").alias("inside"), F.min(F.when(F.col("outer"), F.col("far"))).alias("outside"))
     # chiefs with outer nodes only; the least that a partner may have
@@ -273,15 +291,26 @@ def outer_pairs(known: DataFrame) -> DataFrame:
 
     def first(least: str) -> Column:
         shared = F.ceil((F.col("far") + F.col(least)) / 18)
-        return F.size("delta") - F.greatest(shared, F.lit(1)) + 1
-
-    posts = known.withColumn("inner_first", first("outside")).withColumn("first", F.when(F.col("outer"), first("inside")).otherwise(F.col("inner_first")))
-    posts = staged(posts.where("first > 0").select("chief", "node", "root", "size", "far", "outer", "inner_first", "first", F.size("delta").alias("length"), F.explode("delta").alias("key")), "outer")
-    counts = posts.groupBy("chief", "key").agg(F.count("*").alias("n"))
-    # a key of one node alone takes its place and need not be posted
-    order = Window.partitionBy("chief", "node").orderBy("n", "key")
-    placed = posts.join(counts, ["chief", "key"]).withColumn("place", F.row_number().over(order)).where("place <= first AND n > 1")
-    placed = staged(placed.select("chief", "key", "node", "root", "size", "far", "outer", (F.col("length") - F.col("place") + 1).alias("left"), (F.col("place") <= F.col("inner_first")).alias("inner")), "placed")
+        return F.least(F.size("delta") - F.greatest(shared, F.lit(1)), F.floor(F.col("size") / 4)) + 1
+
+    common = common_of_chiefs(known)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        *columns, first, deltas = batch.columns
+        chiefs = np.asarray(columns[0], np.int64)
+        keys = [rare_first(np.sort(np.asarray(d.values, np.int64)), common, c)[:n] for d, c, n in zip(deltas, chiefs, first.to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names[:-2], "keys"])
+
+    sized = known.withColumn("inner_first", first("outside")).withColumn("first", F.when(F.col("outer"), first("inside")).otherwise(F.col("inner_first")))
+    posted = sized.where("first > 0").select("chief", "node", "root", "size", "far", "outer", F.size("delta").cast("long").alias("length"), F.col("inner_first").cast("long"), F.col("first").cast("long"), "delta")
+    posts = map_batches(posted, run, "chief long, node long, root long, size long, far long, outer boolean, length long, inner_first long, keys array<long>")
+    placed = posts.select("chief", "node", "root", "size", "far", "outer", "length", "inner_first", F.posexplode("keys").alias("place", "key"))
+    return placed.select("chief", "key", "node", "root", "size", "far", "outer", (F.col("length") - F.col("place")).alias("left"), (F.col("place") < F.col("inner_first")).alias("inner"))
+
+
+def outer_pairs(known: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` that may be linked, of two roots, so that one node at least is outer."""
+    placed = staged(outer_posts(known), "placed")
     one = placed.where("outer").select("chief", "key", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size"), F.col("inner").alias("a_inner"), F.col("far").alias("a_far"), F.col("left").alias("a_left"))
     two = placed.where("inner").select("chief", "key", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("size").alias("b_size"), F.col("outer").alias("b_outer"), F.col("far").alias("b_far"), F.col("left").alias("b_left"))
     # of two outer nodes both keys are inner, and one of the two rows will do

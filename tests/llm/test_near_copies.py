@@ -123,3 +123,32 @@ def test_texts_with_one_passage_in_common_make_no_deltas(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "SAMPLE_TEXTS", 1)
     assert got_kept(spark, texts, limit=5) == slow_kept(texts) == set(range(40))
     assert chiefs == [0]
+
+
+def test_texts_far_from_their_chief_are_posted_under_a_quarter_of_their_size(spark, monkeypatch):
+    """Long lists of texts that share some passages, whose deltas are longer than themselves."""
+    texts = passages(random.Random(7), 90)
+    rows = dict.fromkeys(("deltas", "most", "outer", "placed"), 0)
+    staged = near_copies.staged
+
+    def counted(df, label):
+        out = staged(df, label)
+        if label == "sided":
+            sizes = [(r["size"], len(r["delta"])) for r in out.select("size", "delta").collect()]
+            rows["deltas"], rows["most"] = sum(d for _, d in sizes), sum(s // 4 + 1 for s, _ in sizes)
+        elif label in rows:
+            rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "staged", counted)
+    assert got_kept(spark, texts, limit=5) == slow_kept(texts)
+    assert rows["deltas"] > 2 * rows["most"]
+    assert rows["placed"] > 0 and max(rows["outer"], rows["placed"]) <= rows["most"]
+
+
+def test_any_drawn_deltas_will_do(spark, monkeypatch):
+    texts = sample_of_texts()
+    want = slow_kept(texts)
+    for one_in in (1, 1 << 40):
+        monkeypatch.setattr(near_copies, "DELTAS", one_in)
+        assert got_kept(spark, texts, limit=3) == want
