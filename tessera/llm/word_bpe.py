@@ -8,8 +8,10 @@ linked list of its symbols: the pair of the lowest rank (the leftmost of equals)
 popped and merged until no ranked pair is left; the count is the number of first symbols minus
 the number of merges.  No identifier is made on that path.
 
-NFC, the case and the pattern never reach over white space, so runs without white
-space are worked on apart and remembered by the Python worker, in a bounded table.
+NFC, the case and the pattern never reach over white space.  For counts a whole text is
+normalised and cut at once (by ``re`` where its characters are below U+0100), and the Python worker
+remembers counts of words: the heap runs for words not met lately.  For
+identifiers runs without white space are worked on apart and remembered.  Both tables are bounded.
 
 Defined results: a null or empty text has no tokens; white space alone has none;
 texts of any length are read whole; repeated rows give repeated rows, tied or null ids are
@@ -20,6 +22,7 @@ they are called.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Callable
 from heapq import heapify, heappop, heappush
@@ -35,6 +38,8 @@ from .piece_bpe import read_file
 
 #: Runs without white space kept per Python worker, each about 150 bytes.
 CACHE_RUNS = 600_000
+#: Counts of words kept per Python worker, each about 130 bytes; a word longer than that is never kept.
+CACHE_WORDS, CACHE_LENGTH = 1_200_000, 64
 #: Cut by str.split but not white space for the tokenizer's pattern.
 _ODD_SPACES = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
@@ -53,6 +58,40 @@ def byte_letters() -> list[str]:
     return out
 
 
+def narrow(pattern: str) -> re.Pattern | None:
+    """``pattern`` for texts of characters below U+0100, for ``re``; None where that can't be told.
+
+    Letters, numbers and white space are spelt out as ``regex`` knows them; only plain strings and
+    sets of these three are taken.
+    """
+    part = r"(?:['a-z]+|\[\^?(?:\\p\{[LN]\}|\\s)+\]\+?)"
+    if not re.fullmatch(rf"{part}(?:\|{part})*", pattern):
+        return None
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = pattern.replace(name, "".join(f"\\x{n:02x}" for n in range(256) if regex.match(name, chr(n))))
+    return re.compile(pattern)
+
+
+class Recent(dict):
+    """Values of a function of a word, for the last words asked for: ``limit`` at most, half of it at least."""
+
+    def __init__(self, of: Callable[[str], int], limit: int):
+        super().__init__()
+        self.of, self.half, self.before = of, max(1, limit // 2), {}
+
+    def __missing__(self, word: str) -> int:
+        value = self.before.get(word)
+        if value is None:
+            value = self.of(word)
+            if len(word) > CACHE_LENGTH:
+                return value
+        if len(self) >= self.half:
+            self.before = self.copy()
+            self.clear()
+        self[word] = value
+        return value
+
+
 class WordModel:
     """The tables of a word-end BPE tokenizer file."""
 
@@ -69,6 +108,7 @@ class WordModel:
         self.added = {t["content"]: t["id"] for t in added}
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if added else None
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self._narrow = narrow(split["pattern"]["Regex"])
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"]
         self.letters = byte_letters()
@@ -80,7 +120,7 @@ class WordModel:
             self.merges.setdefault(self.vocab[a] << 20 | self.vocab[b], rank << 20 | self.vocab[a + b])
         # a text without the first character of every special string has none of them
         self._openers = sorted({t[0] for t in self.added})
-        self._counts: dict[str, int] = {}
+        self._counts = Recent(self.count, CACHE_WORDS)
         self._ids: dict[str, bytes] = {}
         self._tokenizer = None
         self._byte = {x: b for b, x in enumerate(self.letters)}
@@ -110,6 +150,24 @@ class WordModel:
             run = run.lower()
         return self.pattern.findall(run)
 
+    def all_words(self, text: str) -> list[str]:
+        """Words of a whole text, after normalisation; those with characters that Python's tables lack come last."""
+        if text.isascii():
+            return (self._narrow or self.pattern).findall(text.lower())
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            unknown = {c for c in set(text) if unicodedata.category(c) == "Cn"}
+            last = []
+            if unknown:
+                runs = self._runs(text)
+                last = [w for run in runs if not unknown.isdisjoint(run) for w in self.words(run)]
+                text = " ".join([run for run in runs if unknown.isdisjoint(run)])
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            return self.pattern.findall(text) + last
+        # in NFC already, and so are the small letters, which are below U+0100 too
+        return (self._narrow or self.pattern).findall(text.lower())
+
     def count(self, word: str) -> int:
         """Tokens of one word: its bytes minus the merges made."""
         data = word.encode("utf-8", "replace")
@@ -183,7 +241,11 @@ class WordModel:
 
     def counts(self, texts: list[str]) -> list[int]:
         """Number of tokens of each text."""
-        return self._per_text(texts, self._counts, lambda run: sum(map(self.count, self.words(run))), lambda s: 1, sum)
+        of_word, out = self._counts.__getitem__, []
+        for text in texts:
+            segments = _with_specials(self.special, text) if any(c in text for c in self._openers) else [text]
+            out.append(sum(sum(map(of_word, self.all_words(s))) for s in segments[::2]) + len(segments) // 2)
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Identifiers of each text, as little-endian unsigned 32-bit integers."""

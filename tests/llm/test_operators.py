@@ -1,10 +1,12 @@
 import collections
 import hashlib
+import json
 import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -266,6 +268,54 @@ def test_counts_equal_the_library():
     assert [np.frombuffer(b, "<u4").tolist() for b in own.ids(texts)] == [e.ids for e in want]
 
 
+class CountingModel(word_bpe.WordModel):
+    """Notes the words whose merges are made."""
+
+    def __init__(self, data):
+        self.merged = []
+        super().__init__(data)
+
+    def count(self, word):
+        self.merged.append(word)
+        return super().count(word)
+
+
+def test_a_word_is_merged_once_whatever_its_case_and_punctuation():
+    own = CountingModel(word_bpe.read_file(tokenizer_path("word_bpe_49k.json")))
+    own.counts(["Unheardof unheardof, (UNHEARDOF)", "unheardof!", "“Unheardof”"])
+    assert own.merged.count("unheardof") == 1
+
+
+def test_a_full_table_of_counts_takes_new_words(monkeypatch):
+    monkeypatch.setattr(word_bpe, "CACHE_RUNS", 8)
+    monkeypatch.setattr(word_bpe, "CACHE_WORDS", 8, raising=False)
+    path = tokenizer_path("word_bpe_49k.json")
+    own, library = CountingModel(word_bpe.read_file(path)), Tokenizer.from_file(path)
+    texts = [*["aa bb", "cc dd", "ee ff", "gg hh", "ii jj"] * 2, "x" * 5000, *["later newer"] * 10, "later aa"]
+    assert [n for t in texts for n in own.counts([t])] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert own.merged.count("later") == own.merged.count("newer") == 1
+    assert len(own._counts) <= 4 and len(own._counts.before) <= 4 and "x" * 5000 not in {*own._counts, *own._counts.before}
+
+
+@pytest.mark.parametrize("codes", [range(256), [32, 9, 28, 39, 83, 115, 0xC9, 0xDF, 0xB5], [32, 65, 0x301, 0x3A3, 0x3C3, 0x130, 0x212A, 0x2019], [32, 65, 0x378, 0x1C89, 0xA7CB, 0x1FBF0, 0x2028, 0x85, 0x180E]])
+def test_whole_texts_are_cut_as_the_library_does(codes):
+    path = tokenizer_path("word_bpe_49k.json")
+    own, library = word_bpe.WordModel(word_bpe.read_file(path)), Tokenizer.from_file(path)
+    rng = np.random.default_rng(6)
+    texts = ["".join(chr(c) for c in rng.choice(list(codes), 40)) + "<|endoftext|>É's" * (n % 2) for n in range(300)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert own.counts(texts) == want
+    own._narrow = None
+    assert own.counts(texts) == want
+
+
+def test_only_plain_sets_are_narrowed():
+    spec = json.loads(word_bpe.read_file(tokenizer_path("word_bpe_49k.json")))
+    pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    assert word_bpe.narrow(pattern).findall("l'été, 42 ²x") == regex.findall(pattern, "l'été, 42 ²x")
+    assert [word_bpe.narrow(p) for p in (r"\p{L}+", r"[\w]+", r"[\p{L}&&[a-z]]+", r"(?i:'s)|[\p{L}]+", r"[\p{Lu}]+")] == [None] * 5
+
+
 def test_token_counts_of_odd_rows(spark, odd, empty):
     path = tokenizer_path("word_bpe_49k.json")
     rows = word_bpe.count_tokens(spark, odd, path).collect()
